@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ledger, rulefit, wordpiece
+from . import bpe, decontam, ledger, licenses, reputation, rulefit, wordpiece
 from .common import fold_of, table
 
 #: Folder of public tokenizer files; each executor has them at the same place.
@@ -17,6 +17,13 @@ WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.search(docs, table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = ledger.ledger(table(spark, sf_dir, "documents"))
     return led.select(
@@ -35,6 +42,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labels(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bound")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -44,15 +59,80 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_license_scan": op7_license_scan,
+    "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
 }
 
-_SPACES = r"' \t\n\v\f\r'"
+#: DuckDB: lower-cases A-Z only.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: DuckDB: words without ASCII punctuation and white space.
+_ALNUM_WORDS = r"list_filter(regexp_split_to_array(" + _LOWER.format("coalesce(text, '')") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', {t.base}, string_split('{t.text}', ' '))" for i, t in enumerate(licenses.TEMPLATES))
 
 ORACLE: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM (SELECT item_id, w, least(len(w), 13) AS k, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT row, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM (SELECT row, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, ks WHERE len(w) >= k)),
+h AS (SELECT row, i, k, item_id FROM dw JOIN bw USING (k, g)),
+hit AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(generate_series(i, i + k - 1)) AS p FROM h) GROUP BY row),
+it AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN it USING (row)""",
+    "op7_license_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+t(tpl, label, base, w) AS (VALUES {_TEMPLATES}),
+tg AS (SELECT tpl, label, base, len(w) - 2 AS size, i - 1 AS o, array_to_string(w[i:i + 2], ' ') AS g
+       FROM (SELECT *, unnest(generate_series(1, len(w) - 2)) AS i FROM t)),
+dg AS (SELECT row, i - 1 AS p, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT row, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+v AS (SELECT row, tpl, label, base, size, p - o AS diagonal, min(p) AS lo, max(p) AS hi, bit_or(1::BIGINT << o) AS bits
+      FROM dg JOIN tg USING (g) GROUP BY ALL),
+a AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY row, tpl ORDER BY diagonal) <= {licenses.SHIFT} IS NOT TRUE THEN 1
+                     WHEN base THEN 1 ELSE 0 END AS apart FROM v),
+s AS (SELECT *, sum(apart) OVER (PARTITION BY row, tpl ORDER BY diagonal) AS span FROM a),
+m AS (SELECT row, label, base, size, min(lo) AS first, bit_count(bit_or(bits)) AS held FROM s GROUP BY row, tpl, label, base, size, span),
+k AS (SELECT *, held / size AS share FROM m WHERE CASE WHEN base THEN held = size ELSE held / size >= {licenses.SHARE} END),
+f AS (SELECT row, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+      FROM k GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN f USING (row)""",
+    "op8_url_filter": f"""
+WITH p AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r(name, h, pa, v) AS (VALUES {", ".join(f"('{h + p}', '{h}', '{p}', '{v}')" for v, h, p in reputation.RULES)}),
+u AS (SELECT host, path, arg_max(name, length(name)) AS rule, arg_max(v, length(name)) AS v
+      FROM (SELECT DISTINCT host, path FROM p), r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pa) GROUP BY host, path),
+o AS (SELECT host, greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1)) AS bad FROM p JOIN labels ON doc_id = page_id
+      WHERE toxic IS NOT NULL OR quality IS NOT NULL),
+b AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare, count(*) AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY host),
+h AS (SELECT host, n, bad, array_to_string(string_split(bare, '.')[-2:], '.') AS domain, string_split(bare, '.')[-1] AS suffix FROM b),
+dm AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+sx AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dm GROUP BY suffix),
+st AS (SELECT 0 AS l, n, bad FROM sx UNION ALL SELECT 1, n, bad FROM dm UNION ALL SELECT 2, n, bad FROM h),
+mo AS (SELECT l, count(*) AS k, sum(n)::DOUBLE AS n, sum(bad) / sum(n) AS m, sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) AS spread, sum(n * n) AS nn FROM st GROUP BY l),
+rh AS (SELECT l, CASE WHEN k > 1 AND m > 0 AND m < 1 AND m * (1 - m) * (n - nn / n - (k - 1)) > 0
+                      THEN (spread - (k - 1) * m * (1 - m)) / (m * (1 - m) * (n - nn / n - (k - 1))) END AS rho FROM mo),
+ks AS (SELECT l, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 10000) ELSE 10000 END AS k FROM rh),
+kk AS (SELECT max(k) FILTER (l = 0) AS k0, max(k) FILTER (l = 1) AS k1, max(k) FILTER (l = 2) AS k2 FROM ks),
+m0 AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m0 FROM sx),
+s2 AS (SELECT suffix, (bad + k0 * m0) / (n + k0) AS ms FROM sx, kk, m0),
+d2 AS (SELECT domain, suffix, (bad + k1 * ms) / (n + k1) AS md FROM dm JOIN s2 USING (suffix), kk),
+h2 AS (SELECT host, (bad + k2 * md) / (n + k2) AS rate, n + k2 AS size FROM h JOIN d2 USING (domain, suffix), kk),
+q AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) AS bound FROM h2)
+SELECT page_id, p.host, p.path, rule, coalesce(v, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN u ON u.host = p.host AND u.path = p.path LEFT JOIN q ON q.host = p.host""",
     "op6_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 t AS (SELECT row, doc_id, text, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS w,
