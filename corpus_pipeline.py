@@ -5,11 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import bpe, ledger, rulefit
+from stratalog.llm import bpe, decontam, ledger, neardup, rulefit
 from stratalog.llm.common import cut, table
 from stratalog.llm.queries import WORD_BPE
+from stratalog.llm.textstats import STATS
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current rule policy passes."""
+    led = ledger.ledger(docs, keep=tuple(docs.columns))
+    return led.where(ledger.passes(ledger.CURRENT)).drop("fail_bits", *(s for s in STATS if s not in docs.columns))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be of good quality.  The model learns from labelled rows of
+    the whole documents table, whose junk the stage before has already taken out of docs."""
+    model = rulefit.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = rulefit.score(docs, model, keep=tuple(docs.columns))
+    return scored.where("predicted = 1").drop("score", "predicted")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    return neardup.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark contamination."""
+    found = decontam.search(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text."""
+    return bpe.encode(docs, WORD_BPE, digest=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
+#: SQL has neither the classifier's fit nor the tokenizer; a brute-force version in the tests takes its place.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, ledger, licenses, reputation, rulefit, wordpiece
+from . import bpe, decontam, ledger, licenses, neardup, reputation, rulefit, wordpiece
 from .common import fold_of, table
 
 #: Folder of public tokenizer files; each executor has them at the same place.
@@ -42,6 +42,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labels(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scan": op7_license_scan,
     "op8_url_filter": op8_url_filter,
@@ -89,6 +94,18 @@ it AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN hit USING (row) LEFT JOIN it USING (row)""",
+    "op4_near_duplicates": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id,
+      list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT row, array_to_string(w[i:i + 3], ' ') AS g
+      FROM (SELECT row, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+p AS (SELECT a.row AS u, b.row AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.row <> b.row GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.row = u JOIN n y ON y.row = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(row, near) AS (SELECT row, row FROM d UNION SELECT r.row, e.v FROM r JOIN e ON e.u = r.near),
+c AS (SELECT r.row, min(o.doc_id) AS component_id FROM r JOIN d o ON o.row = r.near GROUP BY r.row)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept
+FROM d JOIN c USING (row) LEFT JOIN n USING (row)""",
     "op7_license_scan": f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_ALNUM_WORDS} AS w FROM documents),
 t(tpl, label, base, w) AS (VALUES {_TEMPLATES}),
