@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, ledger, licenses, neardup, reputation, rulefit, wordpiece
+from . import bpe, decontam, ledger, licenses, neardup, reputation, rulefit, toolcalls, wordpiece
 from .common import fold_of, table
 
 #: Folder of public tokenizer files; each executor has them at the same place.
@@ -42,6 +42,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.TURN_SCHEMAS)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_tool_calls": op3_tool_calls,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scan": op7_license_scan,
@@ -94,6 +100,28 @@ it AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN hit USING (row) LEFT JOIN it USING (row)""",
+    "op3_tool_calls": """
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, conv_id || ':' || turn AS id FROM conversations),
+b AS (SELECT conv_id, turn + 1 AS turn, max(role) AS before FROM conversations GROUP BY ALL),
+c AS (SELECT t.conv_id, t.turn, id, text, CASE role WHEN 'user' THEN 'reply' WHEN 'system' THEN 'configure' ELSE role END AS name,
+             CASE WHEN before = 'assistant' THEN t.conv_id || ':' || (t.turn - 2) WHEN before IS NOT NULL THEN t.conv_id || ':' || (t.turn - 1) END AS after
+      FROM t LEFT JOIN b ON b.conv_id = t.conv_id AND b.turn = t.turn WHERE coalesce(role, '') <> 'assistant'),
+r AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS id, text FROM t WHERE role = 'assistant'),
+n AS (SELECT id, count(*) AS n, max(after) AS after FROM c WHERE id IS NOT NULL GROUP BY id),
+u AS (SELECT id, after FROM n WHERE n = 1),
+d(id, depth) AS (SELECT id, 0 FROM u WHERE after IS NULL OR after NOT IN (SELECT id FROM u)
+                 UNION ALL SELECT u.id, d.depth + 1 FROM d JOIN u ON u.after = d.id),
+a AS (SELECT id, count(*) AS answers FROM r GROUP BY id)
+SELECT conv_id, turn, 'call' AS kind, c.id AS call_id, name,
+       CASE WHEN n IS NULL THEN 'no_id' WHEN n > 1 THEN 'duplicate_id' WHEN name IS NULL OR name NOT IN ('reply', 'configure') THEN 'unknown_tool'
+            WHEN text IS NULL OR turn IS NULL THEN 'bad_arguments' WHEN depth IS NULL THEN 'cycle' WHEN answers IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+       depth, 2 * depth AS topo,
+       '{' || CASE WHEN c.after IS NOT NULL THEN '"after":' || to_json(c.after) || ',' ELSE '' END || '"arguments":' || to_json({'text': text, 'turn': turn})
+           || ',"id":' || to_json(c.id) || ',"name":' || to_json(name) || '}' AS json
+FROM c LEFT JOIN n USING (id) LEFT JOIN d USING (id) LEFT JOIN a USING (id)
+UNION ALL
+SELECT conv_id, turn, 'result', r.id, NULL, CASE WHEN n IS NULL THEN 'orphan' WHEN n > 1 THEN 'ambiguous' ELSE 'ok' END, depth, 2 * depth + 1,
+       to_json({'content': text, 'id': r.id}) FROM r LEFT JOIN n USING (id) LEFT JOIN d USING (id)""",
     "op4_near_duplicates": f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id,
       list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
