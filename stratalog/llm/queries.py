@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, ledger, licenses, neardup, reputation, rulefit, toolcalls, wordpiece
+from . import bpe, decontam, ledger, licenses, neardup, reputation, rulefit, suffixtree, toolcalls, wordpiece
 from .common import fold_of, table
 
 #: Folder of public tokenizer files; each executor has them at the same place.
@@ -24,6 +24,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"), fold_of("doc_id", 10) == 0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = ledger.ledger(table(spark, sf_dir, "documents"))
     return led.select(
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_tool_calls": op3_tool_calls,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scan": op7_license_scan,
     "op8_url_filter": op8_url_filter,
