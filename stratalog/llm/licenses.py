@@ -19,7 +19,7 @@ from .common import cut
 K = 3
 #: Diagonals this close (words inserted or left out) belong to one span.
 SHIFT = 2
-#: Share of a template's k-grams that a span must hold.
+#: Share of a template's k-grams that a span must hold, the first and the last among them.
 SHARE = 0.8
 
 
@@ -98,10 +98,12 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text: str =
         votes.withColumn("__apart", apart)
         .withColumn("__span", F.sum("__apart").over(w))
         .groupBy("__row", "tpl", "label", "base", "size", "__span")
-        .agg(F.min("lo").alias("first"), (F.max("hi") + K - 1).alias("last"), F.bit_count(F.bit_or("bits")).alias("held"))
+        .agg(F.min("lo").alias("first"), (F.max("hi") + K - 1).alias("last"), F.bit_or("bits").alias("bits"))
+        .withColumn("held", F.bit_count("bits"))
     )
-    share = F.col("held") / F.col("size")
-    kept = merged.withColumn("share", share).where(F.when(F.col("base"), F.col("held") == F.col("size")).otherwise(F.col("share") >= SHARE))
+    ends = F.expr("bits & 1 = 1 AND shiftright(bits, size - 1) & 1 = 1")  # a version at an end tells licenses apart
+    merged = merged.withColumn("share", F.col("held") / F.col("size"))
+    kept = merged.where(F.when(F.col("base"), F.col("held") == F.col("size")).otherwise(ends & (F.col("share") >= SHARE)))
     return rows.drop("__hits"), kept.select("__row", "tpl", "label", "base", F.col("first").cast("long"), F.col("last").cast("long"), "share")
 
 

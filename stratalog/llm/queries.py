@@ -150,8 +150,8 @@ v AS (SELECT row, tpl, label, base, size, p - o AS diagonal, min(p) AS lo, max(p
 a AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY row, tpl ORDER BY diagonal) <= {licenses.SHIFT} IS NOT TRUE THEN 1
                      WHEN base THEN 1 ELSE 0 END AS apart FROM v),
 s AS (SELECT *, sum(apart) OVER (PARTITION BY row, tpl ORDER BY diagonal) AS span FROM a),
-m AS (SELECT row, label, base, size, min(lo) AS first, bit_count(bit_or(bits)) AS held FROM s GROUP BY row, tpl, label, base, size, span),
-k AS (SELECT *, held / size AS share FROM m WHERE CASE WHEN base THEN held = size ELSE held / size >= {licenses.SHARE} END),
+m AS (SELECT row, label, base, size, min(lo) AS first, bit_count(bit_or(bits)) AS held, bit_or(bits) AS bits FROM s GROUP BY row, tpl, label, base, size, span),
+k AS (SELECT *, held / size AS share FROM m WHERE CASE WHEN base THEN held = size ELSE held / size >= {licenses.SHARE} AND bits & 1 = 1 AND (bits >> (size - 1)) & 1 = 1 END),
 f AS (SELECT row, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
       FROM k GROUP BY row)
