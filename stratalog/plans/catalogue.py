@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..operators import resolve
+from ..operators import compaction, resolve
 from ..schema import BASE_BYTES, GROWTH, N_LEVELS
 from ..sources.wal import Entry, encode_block, put, read_logs, start_checksum
 from ..store import Store
@@ -217,6 +217,38 @@ def kv_store(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def kv_regular_order(spark: SparkSession, d: str) -> DataFrame:
+    """The largest neighbouring pair of runs merged into the next level, deletions kept as older runs may lie below."""
+    runs = orders_runs(spark, d)
+    pair = resolve.largest_pair(resolve.run_stats(runs))  # one row
+    two = pair.select(F.explode(F.array("run", "next_run")).alias("run"))
+    picked = runs.join(F.broadcast(two), "run", "left_semi").select("key", "value", "seq")
+    return compaction.merge(picked, bottom=False)
+
+
+def kv_runs_with_key(spark: SparkSession, d: str) -> DataFrame:
+    """Runs whose key range holds a key: what a point read has to open."""
+    return resolve.run_stats(orders_runs(spark, d)).where("min_key <= 2 AND max_key >= 2").select("run", "min_key", "max_key")
+
+
+def kv_run_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many runs of each kind a store has after two bulk writes, a compaction and another write."""
+    store = Store.create(spark, _scratch(spark, "store"))
+    rows = orders_log(spark, d).select(codecs.be_key("key").alias("key"), F.unhex(F.lit("01")).alias("value"))
+    for _ in range(2):
+        store.put_df(rows)
+    store.compact()
+    store.put_df(rows.limit(10))
+    return store.runs().groupBy("kind").agg((F.count("*") > 0).alias("found"))
+
+
+def kv_bloom(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a Bloom filter over the live keys, built where the keys are."""
+    bits = 8 * 2048
+    hashed = kv_live(spark, d).select(codecs.murmur3_udf(codecs.be_key("key"), F.lit(0)).alias("h")).select((F.col("h") % bits).alias("b"))
+    return hashed.groupBy(F.floor(F.col("b") / 8).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(b % 8 AS int))")).alias("bits"))
+
+
 def kv_fsck(spark: SparkSession, d: str) -> DataFrame:
     """Files of a store that its manifest does not know: what a compaction has replaced."""
     store = Store.create(spark, _scratch(spark, "store"))
@@ -247,7 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         kv_live, kv_get, kv_multi_get, kv_scan_range, kv_scan_limit, kv_tombstones, kv_flush_runs, kv_minor_order, kv_joined,
         kv_merge_runs, kv_run_stats, kv_versions, kv_garbage_versions, kv_recover_prefix, kv_as_of, kv_range_overlap,
         kv_largest_pair, kv_level_target, kv_be_key, kv_varint_len, kv_prefix_delta, kv_series_scan, kv_crc32, kv_crc32_chain,
-        kv_murmur3, kv_varint, kv_encode_pair, kv_wal_block, kv_wal_read, kv_store, kv_fsck, kv_stream_upsert,
+        kv_murmur3, kv_varint, kv_encode_pair, kv_wal_block, kv_wal_read, kv_store, kv_fsck, kv_regular_order, kv_runs_with_key, kv_run_kinds, kv_bloom, kv_stream_upsert,
     )
 }
 
@@ -300,6 +332,11 @@ ORACLE: dict[str, str] = {
             FROM w WHERE value IS NOT NULL""",
         "kv_store": f"SELECT {_HEX.format('key')} AS key, {_HEX.format('round(value * 100)::BIGINT')} AS value FROM w WHERE value IS NOT NULL",
         "kv_stream_upsert": _LIVE,
+        "kv_regular_order": """SELECT key, value, seq FROM l WHERE run IN (SELECT unnest([run, next_run]) FROM (SELECT run, lead(run) OVER (ORDER BY run) AS next_run,
+            n_pairs + lead(n_pairs) OVER (ORDER BY run) AS size FROM s) WHERE next_run IS NOT NULL ORDER BY size DESC, run LIMIT 1)
+            QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""",
+        "kv_runs_with_key": "SELECT run, min_key, max_key FROM s WHERE 2 BETWEEN min_key AND max_key",
     }.items()
 }
+ORACLE["kv_run_kinds"] = "SELECT unnest(['base', 'minor']) AS kind, true AS found"
 ORACLE["kv_fsck"] = "SELECT 'untracked' AS problem, true AS found"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog import Store, StoreOptions
+from stratalog.functions import workloads
 from stratalog.manifest import Manifest, Version, replay
 from stratalog.sources.blobs import Blobs, MemoryBlobs, check_name
 from stratalog.sources.wal import MAJOR, MERGE, MINOR, SNAPSHOT
@@ -163,3 +164,21 @@ def test_bulk_order(spark, tmp_path):
     assert store.get(b"k") == b"z"
     assert store.multi_get(spark.createDataFrame([(bytearray(b"k"),), (bytearray(b"q"),)], "key binary")).count() == 1
     assert store.runs().where(F.col("kind") == "minor").count() == 2
+
+
+def test_layers_and_series(spark, tmp_path):
+    store, model = Store.create(spark, f"file://{tmp_path}/db"), {}
+    for batch in workloads.layers(256):
+        store.put_df(spark.createDataFrame([(bytearray(k), None if v is None else bytearray(v)) for k, v in batch], "key binary, value binary"))
+        model.update(batch)
+    live = {k: v for k, v in model.items() if v is not None}
+    check(store, live)
+    assert store.maintain() == "minor"
+    check(store, live)
+    for rows in (workloads.series_rows(200), workloads.varied_values(200)):
+        rows = list(rows)
+        store.put_df(spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in rows], "key binary, value binary"))
+        live.update(rows)
+    store.compact()
+    check(store, live)
+    assert {r.kind for r in store.runs().collect()} == {"base"}
