@@ -332,9 +332,9 @@ ORACLE: dict[str, str] = {
             FROM w WHERE value IS NOT NULL""",
         "kv_store": f"SELECT {_HEX.format('key')} AS key, {_HEX.format('round(value * 100)::BIGINT')} AS value FROM w WHERE value IS NOT NULL",
         "kv_stream_upsert": _LIVE,
-        "kv_regular_order": """SELECT key, value, seq FROM l WHERE run IN (SELECT unnest([run, next_run]) FROM (SELECT run, lead(run) OVER (ORDER BY run) AS next_run,
-            n_pairs + lead(n_pairs) OVER (ORDER BY run) AS size FROM s) WHERE next_run IS NOT NULL ORDER BY size DESC, run LIMIT 1)
-            QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""",
+        "kv_regular_order": """SELECT key, value, seq FROM l WHERE run IN (SELECT unnest([run, next_run]) FROM (
+            SELECT run, next_run FROM (SELECT run, lead(run) OVER (ORDER BY run) AS next_run, n_pairs + lead(n_pairs) OVER (ORDER BY run) AS size FROM s)
+            WHERE next_run IS NOT NULL ORDER BY size DESC, run LIMIT 1)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""",
         "kv_runs_with_key": "SELECT run, min_key, max_key FROM s WHERE 2 BETWEEN min_key AND max_key",
     }.items()
 }
