@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import bpe, decontam, ledger, neardup, rulefit
 from stratalog.llm.common import cut, table
 from stratalog.llm.queries import WORD_BPE
-from stratalog.llm.textstats import STATS
+
+
+def _plain(docs: DataFrame) -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
+    """docs under column names that no operator uses, its text's name, and the way back to docs' own columns."""
+    safe = [f"__c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*safe), safe[docs.columns.index("text")], lambda out: out.select(*safe).toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current rule policy passes."""
-    led = ledger.ledger(docs, keep=tuple(docs.columns))
-    return led.where(ledger.passes(ledger.CURRENT)).drop("fail_bits", *(s for s in STATS if s not in docs.columns))
+    """Documents that the current rule policy passes; null, empty and very short texts do not."""
+    safe, text, back = _plain(docs)
+    return back(ledger.ledger(safe, text, tuple(safe.columns)).where(ledger.passes(ledger.CURRENT)))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be of good quality.  The model learns from labelled rows of
     the whole documents table, whose junk the stage before has already taken out of docs."""
     model = rulefit.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = rulefit.score(docs, model, keep=tuple(docs.columns))
-    return scored.where("predicted = 1").drop("score", "predicted")
+    safe, text, back = _plain(docs)
+    return back(rulefit.score(safe, model, tuple(safe.columns), text).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark contamination."""
-    found = decontam.search(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    safe, text, back = _plain(docs)
+    return back(decontam.search(safe, table(spark, sf_dir, "benchmark"), text).where(~F.col("contaminated")))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label: str
     return fit(table[list(FEATURES)].to_numpy(np.float64), table["__y"].to_numpy(np.float64), **kw)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep, score (double, 0 to 1) and predicted (int); null and empty texts score as texts without words."""
-    found = features(with_stats(docs, keep=keep))
+    found = features(with_stats(docs, text, keep))
     return found.select(*keep, model.column().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
