@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +19,44 @@ BATCH_ROWS = 512
 #: Text bytes that one block holds, unless a single row is larger.
 BLOCK_BYTES = 12 << 20
 #: Distinct words a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+TASKS_PER_CORE = 8
 #: Bytes that may be broadcast at once; larger inputs go in blocks of this size.
 BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, else a local one set here."""
+    """The folder for intermediate tables: spark.checkpoint.dir, or a local one where none is set (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), f"stratalog-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files every executor sees."""
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go as soon as its rows are in place, not at some later garbage collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def cut(df: DataFrame, name: str = "t", small: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends at files every executor sees.
+
+    small: the rows are few for the tasks that make them (identifiers, links), so that
+    TASKS_PER_CORE tasks for each core of the cluster write them, and not one for each
+    shuffle partition.
+    """
+    if small:
+        df = df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
     path = f"{shared_dir(df.sparkSession)}/stratalog-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stratalog_path = path  # type: ignore[attr-defined]
     return out

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, blocks, cut, drop_cut, small_batches, utf8
 from .graph import components
-from .setsketch import BANDS, M, buckets, fingerprint, shingle_sets, similarity, sketches
+from .setsketch import BANDS, M, buckets, fingerprint, first_band, reaches, shingle_sets, sketches
 
 #: Similarity of linked sets, in percent, and how far below it an estimate is still verified (5 standard errors).
 PERCENT = 80
 SLACK = 5 * (0.8 * 0.2 / M) ** 0.5
 #: Nodes on either side of a block of comparisons.
-BLOCK = 256
+BLOCK = 512
 #: Texts sketched together.
 _TEXT_BLOCK = 8 << 20
 
@@ -70,8 +70,8 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
         na, nb = _long(block.column(1)), _long(block.column(4))
         fits = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
-        est = similarity(_regs(block.column(2)), _regs(block.column(5)), na, nb)
-        at = np.flatnonzero(fits & (est >= PERCENT / 100 - SLACK))
+        a, b = _regs(block.column(2)), _regs(block.column(5))
+        at = np.flatnonzero(fits & reaches(PERCENT / 100 - SLACK, (a > b).sum(1), (a < b).sum(1), na, nb))
         yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(at)), block.column(3).take(pa.array(at))], names=["u", "v"])
 
 
@@ -115,26 +115,32 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (a, b) of a group that still have to be verified and their estimates; and all rows' components."""
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    comp, chunk = _long(group.column("comp").combine_chunks()), _long(group.column("x").combine_chunks())
-    n, node = _long(group.column("n").combine_chunks()), _long(group.column("node").combine_chunks())
+    """Pairs of rows (a, b) of a group that still have to be verified, their equal registers, and all rows' components.
+
+    A pair that shares several buckets is a candidate in that of its first common band alone.
+    """
+    i, j, band = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("bucket")[0].as_py() & 31
+    comp, n, x = (_long(group.column(c).combine_chunks()) for c in ("comp", "n", "x"))
+    none = np.zeros(0, np.int64)
+    if (comp == comp[0]).all():
+        return none, none, none, comp
     regs = _regs(group.column("regs"))
-    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    aa, bb, ee = [], [], []
+    left, right = np.flatnonzero(x == i), np.flatnonzero(x == j)
+    found: list[tuple[np.ndarray, ...]] = []
     for a in left:
         b = right[right > a] if i == j else right
-        b = b[(comp[b] != comp[a]) & (node[b] != node[a])]
-        b = b[100 * np.minimum(n[b], n[a]) >= PERCENT * np.maximum(n[b], n[a])]
+        b = b[(comp[b] != comp[a]) & (100 * np.minimum(n[b], n[a]) >= PERCENT * np.maximum(n[b], n[a]))]
         if not len(b):
             continue
-        est = similarity(np.broadcast_to(regs[a], (len(b), M)), regs[b], np.full(len(b), n[a]), n[b])
-        may = est >= PERCENT / 100 - SLACK
-        aa.append(np.full(int(may.sum()), a))
-        bb.append(b[may])
-        ee.append(est[may])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(aa), np.concatenate(bb), np.concatenate(ee), comp) if aa else (none, none, np.zeros(0), comp)
+        equal = regs[b] == regs[a]
+        here = first_band(equal) == band
+        b, equal = b[here], equal[here]
+        found.append((np.full(len(b), a), b, (regs[a] > regs[b]).sum(1), equal.sum(1)))
+    if not found:
+        return none, none, none, comp
+    a, b, above, same = (np.concatenate(c) for c in zip(*found, strict=True))
+    may = reaches(PERCENT / 100 - SLACK, above, M - above - same, n[a], n[b])
+    return a[may], b[may], same[may], comp
 
 
 def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +153,10 @@ def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links across components within block groups, until their components are one."""
+    """Verified links between components (u, v) within block groups, until they are one."""
     for group in _groups(batches):
-        a, b, est, comp = _candidates(group)
+        a, b, same, comp = _candidates(group)
         sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-        node = _long(group.column("node").combine_chunks())
         root = {c: c for c in comp.tolist()}
 
         def find(c: int, root=root) -> int:
@@ -161,12 +166,12 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return c
 
         us, vs = [], []
-        for k in np.argsort(-est, kind="stable").tolist():
+        for k in np.argsort(-same, kind="stable").tolist():
             p, q = find(int(comp[a[k]])), find(int(comp[b[k]]))
             if p != q and linked(sets[a[k]], sets[b[k]]):
                 root[p] = q
-                us.append(int(node[a[k]]))
-                vs.append(int(node[b[k]]))
+                us.append(int(comp[a[k]]))
+                vs.append(int(comp[b[k]]))
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
@@ -196,22 +201,22 @@ def members(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4
     """
     rows = cut(sketch_rows(docs, text, k, (doc, *keep)).withColumnRenamed(doc, "__doc"), "sketches")
     full = rows.where("n > 0").groupBy("fp").agg(F.min("__doc").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    nodes = cut(full.withColumn("node", F.monotonically_increasing_id()), "nodes")  # ids are fixed by being written
+    nodes = cut(full.withColumn("node", F.monotonically_increasing_id()), "nodes", small=True)  # ids are fixed by being written
     sketch = nodes.select("node", "n", "regs")
-    bands = cut(nodes.select("node", "regs").mapInArrow(_band_rows, "bucket long, node long"), "bands")
+    bands = cut(nodes.select("node", "regs").mapInArrow(_band_rows, "bucket long, node long"), "bands", small=True)
     heads = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    met = cut(bands.join(heads, "bucket"), "met")
+    met = cut(bands.join(heads, "bucket"), "met", small=True)
     drop_cut(bands)
 
     side = lambda a: sketch.select(F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("regs").alias(f"r{a}"))
     pairs = met.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
     screened = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "nu", "ru", "v", "nv", "rv")
-    screened = cut(screened.mapInArrow(_screen, "u long, v long"), "screened")
+    screened = cut(screened.mapInArrow(_screen, "u long, v long"), "screened", small=True)
     ends = screened.select(F.col("u").alias("node")).union(screened.select("v")).distinct()
-    sets = cut(_sets_of(docs, nodes, ends, doc, text, k), "sets")
+    sets = cut(_sets_of(docs, nodes, ends, doc, text, k), "sets", small=True)
     set_of = lambda a: sets.select(F.col("node").alias(a), F.col("set").alias(f"s{a}"))
     links = screened.join(set_of("u"), "u").join(set_of("v"), "v").select("u", "su", "v", "sv")
-    links = cut(links.mapInArrow(_verify, "u long, v long"), "links")
+    links = cut(links.mapInArrow(_verify, "u long, v long"), "links", small=True)
     comps = components(links)
 
     # buckets of three nodes or more that still hold several components; pairs with the head have been tried
@@ -222,19 +227,18 @@ def members(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4
     rest = rest.select("bucket", "node", "comp", "x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("y"))
     rest = rest.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "comp", "node")
     keys = ["bucket", "i", "j"]
-    grouped = rest.join(sketch, "node").select(*keys, "x", "comp", "node", "n", "regs").repartition(*keys).sortWithinPartitions(*keys, "node")
-    alive = cut(grouped.mapInArrow(_alive, grouped.schema), "alive")
-    more = alive.select("node").distinct()
-    old = sets.select("node")
-    fresh = _sets_of(docs, nodes, more.join(old, "node", "left_anti"), doc, text, k)
-    again = alive.join(sets.union(fresh), "node").select(*keys, "x", "comp", "node", "n", "regs", "set").repartition(*keys).sortWithinPartitions(*keys, "node")
-    late = cut(again.mapInArrow(_join_blocks, "u long, v long"), "links")
-    if not late.isEmpty():
-        comps = components(links.union(late))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not to be coalesced by size
+    grouped = rest.join(sketch, "node").select(*keys, "x", "comp", "node", "n", "regs").repartition(parts, *keys).sortWithinPartitions(*keys, "node")
+    alive = cut(grouped.mapInArrow(_alive, grouped.schema), "alive", small=True)
+    again = alive.join(_sets_of(docs, nodes, alive.select("node").distinct(), doc, text, k), "node")
+    again = again.select(*keys, "x", "comp", "node", "n", "regs", "set").repartition(parts, *keys).sortWithinPartitions(*keys, "node")
+    late = cut(again.mapInArrow(_join_blocks, "u long, v long"), "links", small=True)
+    joined = components(late).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
 
     part = nodes.select("node", "fp", "id").join(comps, "node", "left").select("fp", "id", F.coalesce("comp", "node").alias("comp"))
+    part = part.join(joined, "comp", "left").select("fp", "id", F.coalesce("whole", "comp").alias("comp"))
     least = part.groupBy("comp").agg(F.min("id").alias("component_id"))
-    by_set = cut(part.join(least, "comp").select("fp", "comp", "component_id"), "groups")
+    by_set = cut(part.join(least, "comp").select("fp", "comp", "component_id"), "groups", small=True)
     out = rows.select("__doc", *keep, F.col("n").alias("n_shingles"), "fp").join(by_set, "fp", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__doc"))
     for t in (bands, met, screened, sets, links, alive, late):

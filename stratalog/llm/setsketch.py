@@ -77,34 +77,50 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def buckets(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit bucket for each band of each sketch (rows x BANDS)."""
+    """A 64-bit bucket for each band of each sketch (rows x BANDS); its five lowest bits are the band."""
     four = regs[:, : ROWS * BANDS].astype(np.uint64).reshape(len(regs), BANDS, ROWS)
     packed = four[:, :, 0]
     for j in range(1, ROWS):
         packed = (packed << np.uint64(16)) | four[:, :, j]
     with np.errstate(over="ignore"):
-        return mix(mix(packed) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        mixed = mix(mix(packed) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mixed & ~np.uint64(31) | np.arange(BANDS, dtype=np.uint64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Joint maximum-likelihood estimate of the Jaccard similarity of pairs of sketches whose set sizes are known."""
-    above, below = (a > b).sum(1).astype(np.float64), (a < b).sum(1).astype(np.float64)
-    same = a.shape[1] - above - below
+def first_band(equal: np.ndarray) -> np.ndarray:
+    """The first band that pairs share, from which registers are equal (pairs x M); -1 for none."""
+    bands = equal[:, : ROWS * BANDS].reshape(len(equal), BANDS, ROWS).all(2)
+    return np.where(bands.any(1), bands.argmax(1), -1)
+
+
+def _fit(j: np.ndarray | float, above: np.ndarray, below: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Log-likelihood of similarity j, given how many registers of the first sketch are higher and lower; sizes are known."""
     u = na / np.maximum(na + nb, 1)
     v = 1 - u
-    most = np.minimum(na, nb) / np.maximum(np.maximum(na, nb), 1)
 
     def p(x: np.ndarray) -> np.ndarray:
         return -np.log1p(-np.clip(x, 0, 1) * (B - 1) / B) / np.log(B)
 
-    def fit(j: np.ndarray) -> np.ndarray:
-        hi, lo = p(u - v * j), p(v - u * j)
-        eps = 1e-12
-        return above * np.log(hi + eps) + below * np.log(lo + eps) + same * np.log(np.maximum(1 - hi - lo, 0) + eps)
+    hi, lo = p(u - v * j), p(v - u * j)
+    eps = 1e-12
+    return above * np.log(hi + eps) + below * np.log(lo + eps) + (M - above - below) * np.log(np.maximum(1 - hi - lo, 0) + eps)
+
 
+def reaches(limit: float, above: np.ndarray, below: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the joint maximum-likelihood estimate is limit at least: the likelihood is concave, so its slope there tells."""
+    most = np.minimum(na, nb) / np.maximum(np.maximum(na, nb), 1)
+    step = 1e-4
+    slope = _fit(limit + step, above, below, na, nb) - _fit(limit - step, above, below, na, nb)
+    return (most >= limit) & ((slope >= 0) | (most <= limit + step))
+
+
+def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Joint maximum-likelihood estimate of the Jaccard similarity of pairs of sketches whose set sizes are known."""
+    above, below = (a > b).sum(1).astype(np.float64), (a < b).sum(1).astype(np.float64)
+    most = np.minimum(na, nb) / np.maximum(np.maximum(na, nb), 1)
     lo, hi = np.zeros(len(a)), most.astype(np.float64)
     for _ in range(40):
         left, right = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        up = fit(left) < fit(right)
+        up = _fit(left, above, below, na, nb) < _fit(right, above, below, na, nb)
         lo, hi = np.where(up, left, lo), np.where(up, hi, right)
     return (lo + hi) / 2
