@@ -3,7 +3,8 @@
 Labelled page outcomes are counted by host, registered domain and suffix.  Each
 level's rate is shrunk towards its parent's by a beta-binomial prior whose strength
 comes from how much rates differ at that level; a host is blocked where the lower
-posterior bound of its bad rate is above a limit.
+posterior bound of its bad rate is above a limit.  A host without labelled pages is
+judged by the posterior of its registered domain, else of its suffix, else of all.
 """
 
 from __future__ import annotations
@@ -60,21 +61,23 @@ def _strength(counts: DataFrame) -> Column:
     return F.when(rho > 0, F.least(F.greatest(1 / rho - 1, F.lit(1.0)), F.lit(10000.0))).otherwise(F.lit(10000.0))
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """One row per host of outcomes(host, bad 0/1): host, n, bad (long), rate and bound (double).
+def reputation(outcomes: DataFrame, z: float = 1.645, hosts: DataFrame | None = None) -> DataFrame:
+    """One row per host of outcomes(host, bad 0/1) and of hosts(host): host, n, bad (long), rate and bound (double).
 
     rate is the posterior mean of the bad rate, bound its lower credible bound (normal
-    approximation with z deviations).  Counting is partial on the map side, so hot
-    hosts cost nothing extra; the rest works on one row per host.
+    approximation with z deviations).  Hosts without outcomes have n = 0 and the rate
+    and bound of what is known above them; an empty host has none above, and without
+    any outcome both are null.  Counting is partial on the map side, so hot hosts cost
+    nothing extra; the rest works on one row per host.
     """
     domain, suffix = levels(F.col("host"))
-    hosts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("bad"))
-    hosts = cut(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    counted = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("bad"))
+    counted = cut(counted.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     totals = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = totals(hosts, "domain", "suffix")
+    domains = totals(counted, "domain", "suffix")
     suffixes = totals(domains, "suffix")
     top = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("m0"), _strength(suffixes).alias("k0"))
-    k1, k2 = domains.agg(_strength(domains).alias("k1")), hosts.agg(_strength(hosts).alias("k2"))
+    k1, k2 = domains.agg(_strength(domains).alias("k1")), counted.agg(_strength(counted).alias("k2"))
     one = top.crossJoin(k1).crossJoin(k2)  # one row each
 
     def shrunk(df: DataFrame, parent: str, k: str, out: str) -> DataFrame:
@@ -82,10 +85,17 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
 
     s = shrunk(suffixes.crossJoin(F.broadcast(one)), "m0", "k0", "ms").select("suffix", "ms", "k1", "k2")
     d = shrunk(domains.join(s, "suffix"), "ms", "k1", "md").select("domain", "suffix", "md", "k2")
-    h = shrunk(hosts.join(d, ["domain", "suffix"]), "md", "k2", "rate")
-    size = F.col("n") + F.col("k2")
-    bound = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (size + 1))
-    return h.select("host", "n", "bad", "rate", F.greatest(bound, F.lit(0.0)).alias("bound"))
+    h = shrunk(counted.join(d, ["domain", "suffix"]), "md", "k2", "rate")
+    known = h.select("host", "n", "bad", "rate", (F.col("n") + F.col("k2")).alias("size"))
+    if hosts is not None:
+        rest = hosts.select("host").where("host <> ''").distinct().join(counted.select("host"), "host", "left_anti")
+        rest = rest.withColumns({"domain": domain, "suffix": suffix}).join(d.drop("k2"), ["domain", "suffix"], "left")
+        rest = rest.join(s.select("suffix", "ms"), "suffix", "left").crossJoin(F.broadcast(one))
+        by = lambda md, ms, m0: F.when(F.col("md").isNotNull(), F.col(md)).when(F.col("ms").isNotNull(), F.col(ms)).otherwise(F.col(m0))
+        none = F.lit(0).cast("long")
+        known = known.unionByName(rest.select("host", none.alias("n"), none.alias("bad"), by("md", "ms", "m0").alias("rate"), by("k2", "k1", "k0").alias("size")))
+    bound = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("size") + 1))
+    return known.select("host", "n", "bad", "rate", F.when(bound.isNotNull(), F.greatest(bound, F.lit(0.0))).alias("bound"))
 
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -100,13 +110,13 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, li
     """page_id, host, path, rule, verdict, bound of every page.
 
     The verdict is the longest fitting rule's; else block where the host's lower bound
-    is above limit, and allow otherwise - also for hosts without labelled pages and
-    for urls without a host.  Repeated pages each get a row; other columns are dropped.
+    is above limit, and allow otherwise - also for urls without a host, and where no
+    page at all is labelled.  Repeated pages each get a row; other columns are dropped.
     """
     host, path = host_and_path(F.col("url"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = reputation(outcomes(pages, labels)).select("host", "bound")
+    known = reputation(outcomes(pages, labels), hosts=rows).select("host", "bound")
     method = F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow"))
     joined = rows.join(known, "host", "left")
     return joined.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bound")

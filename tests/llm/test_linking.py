@@ -254,6 +254,21 @@ def test_url_filters(spark):
     assert reputation.judge(p, spark.createDataFrame([], "doc_id long, quality int, toxic int")).where("verdict = 'block' AND rule IS NULL").count() == 0
 
 
+def test_hosts_without_labels(spark):
+    seen = [("bad.test", h, 1) for h in range(6)] + [("fine.test", h, 0) for h in range(6)] + [(f"d{i}.evil", 0, 1) for i in range(6)]
+    pages = [(i * 50 + j, f"http://h{h}.{d}/{j}") for i, (d, h, _) in enumerate(seen) for j in range(30)]
+    labels = [(i * 50 + j, 1, bad) for i, (_, _, bad) in enumerate(seen) for j in range(30)]
+    new = {9000: "http://new.bad.test/", 9001: "http://new.fine.test/", 9002: "http://new.other.evil/", 9003: "http://new.other.zone/", 9004: "none"}
+    p, k = spark.createDataFrame(pages + list(new.items()), "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = {r.page_id: r for r in reputation.judge(p, k, limit=0.45).collect()}
+    assert len(rows) == len(pages) + len(new)
+    assert [rows[i].verdict for i in new] == ["block", "allow", "block", "allow", "allow"]
+    assert rows[9004].bound is None and rows[9000].bound > 0.45 > rows[9003].bound
+    at = {r.host: r for r in reputation.reputation(reputation.outcomes(p, k), hosts=p.select(reputation.host_and_path(F.col("url"))[0].alias("host"))).collect()}
+    plain = {r.host: r for r in reputation.reputation(reputation.outcomes(p, k)).collect()}
+    assert at["new.bad.test"].n == 0 and all(at[h] == r for h, r in plain.items()) and len(at) == len(plain) + 4
+
+
 SCHEMAS = {"add": {"x": ("integer", True), "y": ("number", False)}, "say": {"text": ("string", True), "tags": ("array", False), "meta": ("object", False), "loud": ("boolean", False)}, "now": {}}
 
 
