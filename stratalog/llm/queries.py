@@ -25,7 +25,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixtree.score(table(spark, sf_dir, "documents"), fold_of("doc_id", 10) == 0)
+    return suffixtree.score(table(spark, sf_dir, "documents"), fold_of("doc_id", 10) == 0, deep=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

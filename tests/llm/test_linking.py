@@ -197,6 +197,50 @@ def test_suffix_tree(spark, monkeypatch):
     assert none.train_tokens == 0 and none.n_tokens == 1 and none.n_known == 0
 
 
+def brute_deep(rows):
+    """Scores of a tree of any depth, in dictionaries: one distribution for each suffix of each past."""
+    E = "\n"
+    docs = [([E, *WORD.findall(lower(t)), E], held) for _, t, held in rows]
+    nexts = defaultdict(Counter)
+    for w, held in docs:
+        if not held:
+            for i in range(1, len(w)):
+                for k in range(i + 1):
+                    nexts[tuple(w[i - k : i])][w[i]] += 1
+    c0 = nexts[()]
+    n, kinds = sum(c0.values()), len(c0)
+    D, state = suffixtree.DISCOUNT, {}
+
+    def p(ctx, x):
+        if not ctx:
+            return (c0[x] + 0.1) / (n + 0.1 * (kinds + 1))
+        c = nexts.get(ctx, {})
+        if ctx not in state:
+            total, once = sum(c.values()), sum(v == 1 for v in c.values())
+            state[ctx] = total >= suffixtree.MIN_COUNT and sum(v * math.log((v - 1) / total / p(ctx[1:], y)) for y, v in c.items() if v > 1) + once * math.log(max(once, 1) / total) >= suffixtree.GAIN
+        up = p(ctx[1:], x)
+        return (max(c.get(x, 0) - D, 0) + D * len(c) * up) / sum(c.values()) if state[ctx] else up
+
+    return [sum(math.log10(p(tuple(w[:i]), w[i])) for i in range(1, len(w))) for w, _ in docs], Counter(len(c) for c, s in state.items() if s)
+
+
+def test_deep_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffixtree, "BLOCK", 3000)
+    monkeypatch.setattr(suffixtree, "RANGE", 300)
+    rng = random.Random(8)
+    common = {n: " ".join(f"s{n}x{i}" for i in range(n)) for n in (2, 3, 5, 9, 30)}
+    rows = []
+    for i in range(300):
+        n = rng.choice(list(common))
+        side = rng.randrange(2)  # the word after the passage is told by the one before it
+        lead = " ".join(rng.choice("pqr") for _ in range(rng.randrange(3)))
+        rows.append((i, f"{lead} from{side} {common[n]} to{side if rng.random() < 0.97 else 1 - side} {'la ' * rng.choice([0, 0, 3, 25])}", i % 10 == 0))
+    got = {r.doc_id: r.score for r in suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3), F.col("held"), deep=True).collect()}
+    want, states = brute_deep(rows)
+    assert {4, 6, 10, 31} <= set(states)
+    assert [got[i] for i in range(300)] == pytest.approx(want, abs=1e-9)
+
+
 def test_tree_probabilities_sum_to_one(spark):
     rng = random.Random(3)
     train = [(i, " ".join(rng.choice(["a b c", "a c b", "b b", "c a"]) for _ in range(8)), False) for i in range(60)]
