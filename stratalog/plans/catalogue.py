@@ -83,6 +83,20 @@ def kv_joined(spark: SparkSession, d: str) -> DataFrame:
     return resolve.joined(pick(1), pick(0))
 
 
+def kv_minor_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """All runs merged, however many the table has; deletions kept."""
+    return resolve.lww(orders_runs(spark, d))
+
+
+def kv_joined_halves(spark: SparkSession, d: str) -> DataFrame:
+    """The newer half of the runs, resolved, over the older half: runs up to half the last run's number are old."""
+    runs = orders_runs(spark, d)
+    middle = runs.agg(F.floor(F.max("run") / 2).alias("middle"))  # one row
+    split = runs.crossJoin(F.broadcast(middle))
+    half = lambda where: resolve.lww(split.where(where)).select("key", "value")
+    return resolve.joined(half("run > middle"), half("run <= middle"))
+
+
 def kv_merge_runs(spark: SparkSession, d: str) -> DataFrame:
     merged = orders_runs(spark, d).groupBy("key").agg(F.max_by("value", "run").alias("value"))
     return merged.where("value IS NOT NULL")
@@ -106,6 +120,14 @@ def kv_recover_prefix(spark: SparkSession, d: str) -> DataFrame:
     return resolve.recover_prefix(log, blocks)
 
 
+def kv_recover_last(spark: SparkSession, d: str) -> DataFrame:
+    """Live rows of a log whose last block is damaged: all blocks before it are recovered."""
+    log = orders_log(spark, d).withColumn("block", run_of())
+    last = log.agg(F.max("block").alias("last"))  # one row
+    blocks = log.select("block").distinct().crossJoin(F.broadcast(last)).select("block", (F.col("block") != F.col("last")).alias("ok"))
+    return resolve.recover_prefix(log, blocks)
+
+
 def kv_as_of(spark: SparkSession, d: str) -> DataFrame:
     return resolve.as_of(orders_log(spark, d), 7000)
 
@@ -280,6 +302,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         kv_merge_runs, kv_run_stats, kv_versions, kv_garbage_versions, kv_recover_prefix, kv_as_of, kv_range_overlap,
         kv_largest_pair, kv_level_target, kv_be_key, kv_varint_len, kv_prefix_delta, kv_series_scan, kv_crc32, kv_crc32_chain,
         kv_murmur3, kv_varint, kv_encode_pair, kv_wal_block, kv_wal_read, kv_store, kv_fsck, kv_regular_order, kv_runs_with_key, kv_run_kinds, kv_bloom, kv_stream_upsert,
+        kv_minor_order_all, kv_joined_halves, kv_recover_last,
     )
 }
 
@@ -335,6 +358,12 @@ ORACLE: dict[str, str] = {
         "kv_regular_order": """SELECT key, value, seq FROM l WHERE run IN (SELECT unnest([run, next_run]) FROM (
             SELECT run, next_run FROM (SELECT run, lead(run) OVER (ORDER BY run) AS next_run, n_pairs + lead(n_pairs) OVER (ORDER BY run) AS size FROM s)
             WHERE next_run IS NOT NULL ORDER BY size DESC, run LIMIT 1)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""",
+        "kv_minor_order_all": "SELECT key, value, seq FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY run DESC) = 1",
+        "kv_joined_halves": """SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NOT NULL THEN a.value ELSE b.value END AS value
+            FROM (SELECT * FROM l WHERE run > (SELECT max(run) // 2 FROM l) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) a
+            FULL JOIN (SELECT * FROM l WHERE run <= (SELECT max(run) // 2 FROM l) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) b ON a.key = b.key""",
+        "kv_recover_last": """SELECT key, value FROM (SELECT * FROM l WHERE run < (SELECT max(run) FROM l) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
+            WHERE value IS NOT NULL""",
         "kv_runs_with_key": "SELECT run, min_key, max_key FROM s WHERE 2 BETWEEN min_key AND max_key",
     }.items()
 }

@@ -101,3 +101,20 @@ def test_policy():
     assert [r.run_id for r in order.runs] == [3, 4, 6, 7] and order.level == 1 and not order.bottom
     assert C.regular_order([run(0, 6, "00", "01")], 6).bottom
     assert C.major_order([]) is None and C.major_order(zero).level == 7
+
+
+def test_whole_table_orders(spark, tmp_path):
+    from stratalog.plans import catalogue
+
+    rng = random.Random(9)
+    rows = [(seq, rng.randrange(300), rng.choice("FOP"), float(seq)) for seq in rng.sample(range(30_000), 3000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda seq: seq // catalogue.RUN_ROWS
+    last = max(run(r[0]) for r in rows)
+    newest = lambda keep: {k: (None if s == "F" else v, seq) for seq, k, s, v in sorted(rows) if keep(run(seq))}
+    got = {name: {r.key: r for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("kv_minor_order_all", "kv_joined_halves", "kv_recover_last")}
+    assert {k: (r.value, r.seq) for k, r in got["kv_minor_order_all"].items()} == newest(lambda n: True)
+    assert any(run(r.seq) == last for r in got["kv_minor_order_all"].values())
+    old, new = newest(lambda n: n <= last // 2), newest(lambda n: n > last // 2)
+    assert {k: r.value for k, r in got["kv_joined_halves"].items()} == {k: v for k, (v, _) in (old | new).items()}
+    assert {k: r.value for k, r in got["kv_recover_last"].items()} == {k: v for k, (v, _) in newest(lambda n: n < last).items() if v is not None}
