@@ -38,9 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark contamination."""
+    """Documents that hold no benchmark window at all: every affected document goes, however small its share of hits."""
     safe, text, back = _plain(docs)
-    return back(decontam.search(safe, table(spark, sf_dir, "benchmark"), text).where(~F.col("contaminated")))
+    return back(decontam.search(safe, table(spark, sf_dir, "benchmark"), text).where(F.col("n_hit") == 0))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
