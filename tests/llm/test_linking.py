@@ -387,7 +387,7 @@ def test_pipeline(spark):
     kept = {d for d, _, c in brute_groups(rows, 5) if d == c}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     rows = [r for r in rows if r[0] in kept]
-    bad = {r[0] for r in contaminated(rows, bench) if r[4]}
+    bad = {r[0] for r in contaminated(rows, bench) if r[2]}
     lib = tokenizers.Tokenizer.from_file(WORD_BPE)
     want = {}
     for i, t in rows:
