@@ -166,8 +166,12 @@ u AS (SELECT host, path, arg_max(name, length(name)) AS rule, arg_max(v, length(
       FROM (SELECT DISTINCT host, path FROM p), r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pa) GROUP BY host, path),
 o AS (SELECT host, greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1)) AS bad FROM p JOIN labels ON doc_id = page_id
       WHERE toxic IS NOT NULL OR quality IS NOT NULL),
-b AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare, count(*) AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY host),
-h AS (SELECT host, n, bad, array_to_string(string_split(bare, '.')[-2:], '.') AS domain, string_split(bare, '.')[-1] AS suffix FROM b),
+b AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM (SELECT DISTINCT host FROM p)),
+lv AS (SELECT host, CASE WHEN address THEN bare WHEN two THEN array_to_string(string_split(bare, '.')[-3:], '.') ELSE last_two END AS domain,
+              CASE WHEN address THEN '{reputation.ADDRESS}' WHEN two THEN last_two ELSE string_split(bare, '.')[-1] END AS suffix
+       FROM (SELECT *, regexp_full_match(bare, '([0-9]+[.]){{3}}[0-9]+') OR starts_with(bare, '[') AS address, last_two IN ({", ".join(f"'{x}'" for x in reputation.SUFFIXES)}) AS two
+             FROM (SELECT *, array_to_string(string_split(bare, '.')[-2:], '.') AS last_two FROM b))),
+h AS (SELECT host, domain, suffix, n, bad FROM lv JOIN (SELECT host, count(*) AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY host) USING (host)),
 dm AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 sx AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dm GROUP BY suffix),
 st AS (SELECT 0 AS l, n, bad FROM sx UNION ALL SELECT 1, n, bad FROM dm UNION ALL SELECT 2, n, bad FROM h),
@@ -179,9 +183,11 @@ kk AS (SELECT max(k) FILTER (l = 0) AS k0, max(k) FILTER (l = 1) AS k1, max(k) F
 m0 AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m0 FROM sx),
 s2 AS (SELECT suffix, (bad + k0 * m0) / (n + k0) AS ms FROM sx, kk, m0),
 d2 AS (SELECT domain, suffix, (bad + k1 * ms) / (n + k1) AS md FROM dm JOIN s2 USING (suffix), kk),
-h2 AS (SELECT host, (bad + k2 * md) / (n + k2) AS rate, n + k2 AS size FROM h JOIN d2 USING (domain, suffix), kk),
-q AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) AS bound FROM h2)
-SELECT page_id, p.host, p.path, rule, coalesce(v, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+h2 AS (SELECT host, (bad + k2 * md) / (n + k2) AS rate, n + k2 AS size FROM h JOIN d2 USING (domain, suffix), kk
+       UNION ALL SELECT host, coalesce(md, ms, m0), CASE WHEN md IS NOT NULL THEN k2 WHEN ms IS NOT NULL THEN k1 ELSE k0 END
+       FROM lv ANTI JOIN h USING (host) LEFT JOIN d2 USING (domain, suffix) LEFT JOIN s2 USING (suffix), kk, m0 WHERE host <> ''),
+q AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) AS bound, m0 FROM h2, m0)
+SELECT page_id, p.host, p.path, rule, coalesce(v, CASE WHEN greatest(bound, 0) > m0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN u ON u.host = p.host AND u.path = p.path LEFT JOIN q ON q.host = p.host""",
     "op6_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),

@@ -3,7 +3,8 @@
 Labelled page outcomes are counted by host, registered domain and suffix.  Each
 level's rate is shrunk towards its parent's by a beta-binomial prior whose strength
 comes from how much rates differ at that level; a host is blocked where the lower
-posterior bound of its bad rate is above a limit.  A host without labelled pages is
+posterior bound of its bad rate is above a limit, by default the mean rate of all
+outcomes: the host is worse than the average page, and surely so.  A host without labelled pages is
 judged by the posterior of its registered domain, else of its suffix, else of all.
 """
 
@@ -25,6 +26,14 @@ RULES: tuple[Rule, ...] = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: Suffixes of two labels under which unrelated owners register names; further ones are a parameter away.  Fixed values of
+#: the public suffix list, the most common ones.
+SUFFIXES = (
+    "ac.uk", "blogspot.com", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx",
+    "com.sg", "com.tr", "com.tw", "edu.au", "edu.cn", "github.io", "gov.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk", "wordpress.com",
+)
+#: The suffix of all addresses, which are their own domains.
+ADDRESS = "[address]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,10 +53,17 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> tuple
     return name, verdict
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (last two labels) and suffix (last label) of a host, without user and port."""
+def levels(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, without user and port.
+
+    The suffix is the last label, or the last two where suffixes has them, and the domain is one label more.
+    IP addresses are domains of their own and share the suffix ADDRESS.
+    """
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
-    return F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
+    address = bare.rlike(r"^([0-9]+[.]){3}[0-9]+$") | bare.startswith("[")
+    two = F.substring_index(bare, ".", -2).isin(*suffixes) if suffixes else F.lit(False)
+    last = lambda n: F.substring_index(bare, ".", -n)
+    return F.when(address, bare).when(two, last(3)).otherwise(last(2)), F.when(address, F.lit(ADDRESS)).when(two, last(2)).otherwise(last(1))
 
 
 def _strength(counts: DataFrame) -> Column:
@@ -62,12 +78,12 @@ def _strength(counts: DataFrame) -> Column:
 
 
 def reputation(outcomes: DataFrame, z: float = 1.645, hosts: DataFrame | None = None) -> DataFrame:
-    """One row per host of outcomes(host, bad 0/1) and of hosts(host): host, n, bad (long), rate and bound (double).
+    """One row per host of outcomes(host, bad 0/1) and of hosts(host): host, n, bad (long), rate, bound and mean (double).
 
     rate is the posterior mean of the bad rate, bound its lower credible bound (normal
     approximation with z deviations).  Hosts without outcomes have n = 0 and the rate
     and bound of what is known above them; an empty host has none above, and without
-    any outcome both are null.  Counting is partial on the map side, so hot hosts cost
+    any outcome both are null.  mean is the rate of all outcomes, the same in every row.  Counting is partial on the map side, so hot hosts cost
     nothing extra; the rest works on one row per host.
     """
     domain, suffix = levels(F.col("host"))
@@ -94,8 +110,9 @@ def reputation(outcomes: DataFrame, z: float = 1.645, hosts: DataFrame | None =
         by = lambda md, ms, m0: F.when(F.col("md").isNotNull(), F.col(md)).when(F.col("ms").isNotNull(), F.col(ms)).otherwise(F.col(m0))
         none = F.lit(0).cast("long")
         known = known.unionByName(rest.select("host", none.alias("n"), none.alias("bad"), by("md", "ms", "m0").alias("rate"), by("k2", "k1", "k0").alias("size")))
+    known = known.crossJoin(F.broadcast(one.select(F.col("m0").alias("mean"))))
     bound = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("size") + 1))
-    return known.select("host", "n", "bad", "rate", F.when(bound.isNotNull(), F.greatest(bound, F.lit(0.0))).alias("bound"))
+    return known.select("host", "n", "bad", "rate", F.when(bound.isNotNull(), F.greatest(bound, F.lit(0.0))).alias("bound"), "mean")
 
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -106,17 +123,19 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("page_id", host.alias("host")).join(marked, "page_id").select("host", "bad")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, limit: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, limit: float | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, bound of every page.
 
     The verdict is the longest fitting rule's; else block where the host's lower bound
-    is above limit, and allow otherwise - also for urls without a host, and where no
-    page at all is labelled.  Repeated pages each get a row; other columns are dropped.
+    is above limit (None: above the mean rate of all outcomes), and allow otherwise - also
+    for urls without a host, and where no page at all is labelled.  Repeated pages each
+    get a row; other columns are dropped.
     """
     host, path = host_and_path(F.col("url"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = reputation(outcomes(pages, labels), hosts=rows).select("host", "bound")
-    method = F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow"))
+    known = reputation(outcomes(pages, labels), hosts=rows).select("host", "bound", "mean")
+    most = F.col("mean") if limit is None else F.lit(limit)
+    method = F.when(F.col("bound") > most, F.lit("block")).otherwise(F.lit("allow"))
     joined = rows.join(known, "host", "left")
     return joined.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bound")

@@ -403,3 +403,32 @@ def test_pipeline(spark):
         out = stage(spark, odd, d)
         assert name == "encoding" or out.columns == odd.columns
         assert out.count() <= odd.count() and stage(spark, odd.where("doc_id < 0"), d).count() == 0
+
+
+def test_levels_of_hosts(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "u@x.y.com:80": ("y.com", "com"), "10.0.0.1:8": ("10.0.0.1", reputation.ADDRESS), "[::1]": ("[::1]", reputation.ADDRESS), "host": ("host", "host"), "": ("", ""), "1.2.3.com": ("3.com", "com")}
+    domain, suffix = reputation.levels(F.col("h"))
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in got} == hosts
+
+
+def test_hosts_worse_than_the_mean(spark):
+    """By default a host is blocked where its bound is above the mean: a bad host among many good ones, by query and SQL alike."""
+    duckdb = pytest.importorskip("duckdb")
+    from stratalog.llm.queries import ORACLE
+
+    rng = random.Random(4)
+    rate = {f"h{i}.site{i % 7}.{['test', 'co.uk'][i % 2]}": 0.8 if i in (3, 11) else 0.1 for i in range(40)}
+    pages = [(i, f"http://{rng.choice(list(rate))}/{i}") for i in range(3000)] + [(9000, "http://new.site3.co.uk/"), (9001, "http://new.other.test/"), (9002, "http://1.2.3.4/x"), (9003, "nothing")]
+    host = lambda u: u.split("/")[2]
+    labels = [(i, 1, int(rng.random() < rate[host(u)])) for i, u in pages[:3000] if rng.random() < 0.7]
+    got = reputation.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).drop("bound").collect()
+    blocked = {r.host for r in got if r.verdict == "block" and r.rule is None}
+    assert {"h3.site3.co.uk", "h11.site4.co.uk"} <= blocked and len(blocked) <= 4 and len(got) == len(pages)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    con.execute("CREATE TABLE labels(doc_id BIGINT, quality INT, toxic INT)")
+    con.executemany("INSERT INTO labels VALUES (?, ?, ?)", labels)
+    want = con.execute(ORACLE["op8_url_filter"]).fetchall()
+    assert sorted(want) == sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got)
