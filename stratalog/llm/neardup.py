@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, blocks, cut, drop_cut, small_batches, utf8
@@ -176,10 +176,19 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
+def _text_hash(column: Column) -> Column:
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, doc: str, text: str, k: int) -> DataFrame:
-    """node, set (sorted 64-bit hashes) of the wanted nodes, from the text of the node's first document."""
-    need = nodes.join(wanted, "node").select("node", F.col("fp").alias("__fp"), F.col("id").alias("__id"))
-    source = docs.select(F.col(doc).alias("__doc"), F.col(text).alias("__text")).join(need, F.col("__doc").eqNullSafe(F.col("__id"))).select("node", "__fp", "__text")
+    """node, set (sorted 64-bit hashes) of the wanted nodes, from the text of the node's first document.
+
+    A document is found again by its id and its text's hash, so that null ids and ids of several texts meet their own
+    text alone.
+    """
+    need = nodes.join(wanted, "node").select("node", F.col("fp").alias("__fp"), F.col("at.id").alias("__id"), F.col("at.hash").alias("__hash"))
+    own = docs.select(F.col(doc).alias("__doc"), F.col(text).alias("__text"), _text_hash(F.col(text)).alias("__own"))
+    source = own.join(need, (F.col("__own") == F.col("__hash")) & F.col("__doc").eqNullSafe(F.col("__id"))).select("node", "__fp", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -199,12 +208,14 @@ def members(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4
     shingles).  Null ids take part and are passed over by the minimum; repeated rows
     each get a row; ids that several texts share stand for all of them.
     """
-    rows = cut(sketch_rows(docs, text, k, (doc, *keep)).withColumnRenamed(doc, "__doc"), "sketches")
-    full = rows.where("n > 0").groupBy("fp").agg(F.min("__doc").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    named = docs.withColumn("__hash", _text_hash(F.col(text)))
+    rows = cut(sketch_rows(named, text, k, (doc, "__hash", *keep)).withColumnRenamed(doc, "__doc"), "sketches")
+    at = F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("id"), F.col("__hash").alias("hash"))
+    full = rows.where("n > 0").groupBy("fp").agg(F.min("__doc").alias("id"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     nodes = cut(full.withColumn("node", F.monotonically_increasing_id()), "nodes", small=True)  # ids are fixed by being written
     sketch = nodes.select("node", "n", "regs")
     bands = cut(nodes.select("node", "regs").mapInArrow(_band_rows, "bucket long, node long"), "bands", small=True)
-    heads = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
+    heads = cut(bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"), "heads", small=True)  # a table, so that hot buckets' joins can be split
     met = cut(bands.join(heads, "bucket"), "met", small=True)
     drop_cut(bands)
 
@@ -220,10 +231,14 @@ def members(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4
     comps = components(links)
 
     # buckets of three nodes or more that still hold several components; pairs with the head have been tried
-    marked = met.where("size > 2").join(comps, "node", "left").select("bucket", "node", "head", F.coalesce("comp", "node").alias("comp"))
-    split = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.when(F.col("node") != F.col("head"), 1).otherwise(0)).alias("size")).where("lo <> hi")
-    rest = marked.where("node <> head").join(split.select("bucket", "size"), "bucket").withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rest = rest.withColumn("x", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # members are dealt by (bucket, chunk) throughout, and what is known of a bucket goes to each of its chunks
+    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+    marked = met.where("size > 2").withColumns({"chunks": chunks, "x": F.pmod(F.xxhash64("node"), chunks).cast("int")})
+    marked = marked.join(comps, "node", "left").select("bucket", "x", "chunks", "node", "head", F.coalesce("comp", "node").alias("comp"))
+    part = marked.groupBy("bucket", "x", "chunks").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))  # chunks first, then buckets
+    split = part.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("chunks").alias("n")).where("lo <> hi")
+    split = split.select("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"))
+    rest = marked.where("node <> head").join(split, ["bucket", "x"])
     rest = rest.select("bucket", "node", "comp", "x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("y"))
     rest = rest.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "comp", "node")
     keys = ["bucket", "i", "j"]
@@ -241,7 +256,7 @@ def members(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4
     by_set = cut(part.join(least, "comp").select("fp", "comp", "component_id"), "groups", small=True)
     out = rows.select("__doc", *keep, F.col("n").alias("n_shingles"), "fp").join(by_set, "fp", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__doc"))
-    for t in (bands, met, screened, sets, links, alive, late):
+    for t in (nodes, heads, bands, met, screened, sets, links, alive, late):
         drop_cut(t)
     return out.select(F.col("__doc").alias(doc), *keep, "n_shingles", "comp", own.alias("component_id"))
 
@@ -257,12 +272,14 @@ def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int
 
     Rows without shingles belong to no group and all stay.
     """
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    found = members(docs.withColumn("__mark", mark), doc, text, k, ("__mark",))
-    named = found.where(F.col("comp").isNotNull()).select("comp", F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("id"), F.col("__mark").alias("mark")).alias("who"))
+    mark = "__mark"
+    while mark in docs.columns:  # a column of docs may have any name
+        mark += "_"
+    rows = docs.withColumn(mark, _text_hash(F.col(text)))
+    found = members(rows, doc, text, k, (mark,))
+    named = found.where(F.col("comp").isNotNull()).select("comp", F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("id"), F.col(mark).alias("mark")).alias("who"))
     first = named.groupBy("comp").agg(F.min("who").alias("who")).select(F.col("who.id").alias("__id"), F.col("who.mark").alias("__m"))
-    rows = docs.withColumn("__mark", mark)
-    same = rows[doc].eqNullSafe(first["__id"]) & (rows["__mark"] == first["__m"])
-    kept = rows.join(first, same, "left_semi").dropDuplicates([doc, "__mark"])
+    same = rows[doc].eqNullSafe(first["__id"]) & (rows[mark] == first["__m"])
+    kept = rows.join(first, same, "left_semi").dropDuplicates([doc, mark])
     bare = rows.where(F.coalesce(F.trim(F.regexp_replace(text, "[ \\t-\\r]+", "")), F.lit("")) == "")
-    return kept.unionByName(bare).drop("__mark")
+    return kept.unionByName(bare).drop(mark)

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -432,3 +433,26 @@ def test_hosts_worse_than_the_mean(spark):
     con.executemany("INSERT INTO labels VALUES (?, ?, ?)", labels)
     want = con.execute(ORACLE["op8_url_filter"]).fetchall()
     assert sorted(want) == sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got)
+
+
+def test_near_duplicates_of_shared_ids(spark):
+    """Null ids, and one id of many texts, cost no more than unique ids: rows meet by their texts."""
+    rng = random.Random(6)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(500)) for _ in range(60)]
+    texts = [" ".join(rng.choice(["x", "y", "z"]) + str(rng.randrange(3000)) if rng.random() < 0.01 else w for w in base) for _ in range(1500)]
+    took = {}
+    for name, ids in (("unique", range(1500)), ("null", [None] * 1500), ("shared", [7] * 1500)):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        t = time.perf_counter()
+        got = neardup.groups(df).collect()
+        took[name] = time.perf_counter() - t
+        assert len(got) == 1500
+        if name == "unique":
+            assert 0 < sum(r.kept for r in got) < 750
+        assert name == "unique" or {r.component_id for r in got} == set(ids)
+    assert took["null"] < 3 * took["unique"] + 10 and took["shared"] < 3 * took["unique"] + 10, took
+
+
+def test_one_of_each_keeps_any_column(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6), (3, None, 7)], "doc_id long, text string, __mark long")
+    assert sorted(map(tuple, neardup.one_of_each(df).collect())) == [(1, "a b c d e f", 5), (3, None, 7)]
