@@ -1,4 +1,4 @@
-"""Upserts from a stream: newest version of each key, order by seq and never by arrival."""
+"""Upserts from a stream: newest version of each key by seq (into_store(): by batch, then by seq)."""
 
 from __future__ import annotations
 
@@ -18,9 +18,11 @@ def resolved(stream: DataFrame, keys: str = "key") -> DataFrame:
 
 
 def into_store(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch (key binary, value binary, seq) into a store as one run; a repeated batch changes nothing.
+    """Write each micro-batch (key binary, value binary, seq) into a store as one run.
 
-    Batches carry increasing sequence numbers, so within a batch seq decides and across batches the later one wins.
+    Within a batch seq decides; across batches the later batch wins, as a store numbers its writes itself.  So a late
+    row with a smaller seq does overwrite a newer one, and a repeated batch overwrites what came after it: use
+    upsert_all() where rows may come late.
     """
 
     def write(batch: DataFrame, _: int) -> None:
