@@ -456,3 +456,19 @@ def test_near_duplicates_of_shared_ids(spark):
 def test_one_of_each_keeps_any_column(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6), (3, None, 7)], "doc_id long, text string, __mark long")
     assert sorted(map(tuple, neardup.one_of_each(df).collect())) == [(1, "a b c d e f", 5), (3, None, 7)]
+
+
+def test_suffix_tree_of_groups(spark, monkeypatch):
+    """Sums in a tree of blocks of several levels give the same scores."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)) + " one same end of all", i % 10 == 0) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(2)
+    monkeypatch.setattr(suffixtree, "RANGE", 400)
+    monkeypatch.setattr(suffixtree, "BLOCK", 1000)
+    got = []
+    for fan in (512, 2):
+        monkeypatch.setattr(suffixtree, "FAN", fan)
+        got.append({r.doc_id: r.score for r in suffixtree.score(df, F.col("held")).collect()})
+    assert len(suffixtree._levels(7, 3000)) >= 3
+    assert got[1] == pytest.approx(got[0], abs=1e-9) and len(got[0]) == 70
