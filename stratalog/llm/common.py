@@ -26,9 +26,11 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a local one where none is set (as in tests)."""
+    """The folder for intermediate tables: spark.checkpoint.dir; where none is set, a local one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"stratalog-{os.getpid()}")
     return found.rstrip("/")
 
@@ -92,6 +94,11 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         yield pa.concat_batches(held)
 
 
+def others(keep: Iterable[str], made: Iterable[str]) -> tuple[str, ...]:
+    """Columns of keep that an operator passes on: one with the name of a result gives way to the result."""
+    return tuple(c for c in keep if c not in set(made))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null reads as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BROADCAST_BYTES, blocks, small_batches, split_words, utf8
+from .common import ALNUM, BROADCAST_BYTES, blocks, cut, drop_cut, others, small_batches, split_words, utf8
 
 WINDOW = 13
 
@@ -216,34 +216,47 @@ def search(docs: DataFrame, bench: DataFrame, text: str = "text", window: int =
     spans holds the merged word ranges [start, end) that occurrences cover.  Null texts
     have no words; items without id or words match nothing; repeated rows each get a
     row; an empty benchmark hits nothing.  Columns of docs with the new names are
-    replaced.  One pass and no shuffle for each block of the benchmark.
+    replaced, but the text is read first, whatever its name.  One pass and no shuffle for
+    each block of the benchmark.  The driver holds one block: before it reads the next,
+    the rows so far are written to the shared folder and the block's broadcast is destroyed.
     """
     spark = docs.sparkSession
     small_batches(spark)
     made = ["n_words", "n_hit", "items", "spans", "contaminated"]
-    keep = [c for c in docs.columns if c not in made]
-    df = docs.select(*keep).withColumns({"__items": F.array().cast("array<string>"), "__spans": F.array().cast("array<long>"), "__n": F.lit(0).cast("long")})
-    found = list(item_blocks(bench, limit)) or [([], [])]
-    for ids, texts in found:
-        shared = spark.sparkContext.broadcast((ids, texts))
-        df = df.mapInArrow(_pass(shared, text, window, keep), df.schema)
+    keep = others(docs.columns, made)
+    safe = [f"c{i}" for i in range(len(keep))]
+    df = docs.select(*(docs[c].alias(s) for c, s in zip(keep, safe, strict=True)), docs[text].alias("__text"))
+    df = df.withColumns({"__items": F.array().cast("array<string>"), "__spans": F.array().cast("array<long>"), "__n": F.lit(0).cast("long")})
+    shared, before = None, None
+    for block in item_blocks(bench, limit):
+        if shared:
+            df = cut(df, "hits")
+            shared.destroy()
+            if before is not None:
+                drop_cut(before)
+            before = df
+        shared = spark.sparkContext.broadcast(block)
+        df = df.mapInArrow(_pass(shared, window), df.schema)
+    if not shared:
+        df = df.mapInArrow(_pass(spark.sparkContext.broadcast(([], [])), window), df.schema)
     spans: Column = F.expr(
         "CASE WHEN size(__spans) = 0 THEN cast(array() AS array<struct<start:bigint,end:bigint>>) ELSE "
         "transform(sequence(0, cast(size(__spans) div 2 AS int) - 1), i -> struct(__spans[2 * i] AS start, __spans[2 * i + 1] AS end)) END"
     )
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    out = df.select(*keep, F.col("__n").alias("n_words"), F.col("__items").alias("items"), spans.alias("spans")).withColumn("n_hit", hit)
+    back = [F.col(s).alias(c) for c, s in zip(keep, safe, strict=True)]
+    out = df.select(*back, F.col("__n").alias("n_words"), F.col("__items").alias("items"), spans.alias("spans")).withColumn("n_hit", hit)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(*keep, *made)
 
 
-def _pass(shared, text: str, window: int, keep: list[str]):
-    """A pass over blocks of documents that adds what one block of items hits."""
+def _pass(shared, window: int):
+    """A pass over blocks of documents (last columns: text, items, spans, words) that adds what one block of items hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = shared.value
         bench = Benchmark(ids, texts, window)
         for block in blocks(batches):
-            words, counts = split_words(utf8(block.column(keep.index(text))), ALNUM)
+            words, counts = split_words(utf8(block.column("__text")), ALNUM)
             got = search_shard(bench, words, counts)
             items = block.column("__items").to_pylist()
             spans = block.column("__spans").to_pylist()
@@ -259,7 +272,7 @@ def _pass(shared, text: str, window: int, keep: list[str]):
             for d, more in new.items():
                 spans[d] = merged([*zip(spans[d][::2], spans[d][1::2], strict=True), *more])
             rest = [pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64())), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*block.columns[: len(keep)], *rest], names=[*keep, "__items", "__spans", "__n"])
+            yield pa.RecordBatch.from_arrays([*block.columns[:-3], *rest], names=block.schema.names)
 
     return run
 

@@ -94,3 +94,16 @@ def test_empty_tables(spark):
     r = decontam.search(one, items).first()
     assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (2, 0, [], False)
     assert decontam.longest_matches(one, items).count() == 0
+
+
+def test_clashing_names_and_blocks_written_between(spark):
+    docs, bench = fixture(1)
+    names = "doc_id long, __n string, __items string, __spans string, __text string, c0 string, spans string"
+    d = spark.createDataFrame([(i, *"nnnnn", t) for i, t in docs], names)
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    for limit in (1 << 20, 150):
+        got = decontam.search(d, b, text="spans", limit=limit)
+        assert got.columns == ["doc_id", "__n", "__items", "__spans", "__text", "c0", "n_words", "n_hit", "items", "spans", "contaminated"]
+        rows = got.collect()
+        assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in rows], key=repr) == brute(docs, bench)
+        assert all(r["__n"] == r["__text"] == r["c0"] == "n" for r in rows)
