@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import others
 from .textstats import with_stats
 
 
@@ -27,7 +28,8 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 14 * n_words"),
-    Rule("stutter", "n_words BETWEEN 20 AND 1000 AND 4 * n_distinct < n_words"),
+    # Up to 1,000 words a quarter must be distinct; beyond, the bound grows with the root of the length, as vocabularies do.
+    Rule("stutter", "n_words >= 20 AND 16 * n_distinct * n_distinct < n_words * least(n_words, 1000)"),
 )
 
 #: Versioned policies: the rules that reject.
@@ -47,11 +49,12 @@ def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """keep, the measurements, and fail_bits (long): bit i set where RULES[i] is broken.
 
     Null and empty texts have no words: they break few_words alone.  Repeated rows
-    each get a row; columns not in keep are dropped, so none can clash.
+    each get a row; columns not in keep are dropped, and one in keep with a result's
+    name gives way to the result.
     """
     bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)]
     value = reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long")
-    return with_stats(df, text, keep).withColumn("fail_bits", value)
+    return with_stats(df, text, others(keep, ["fail_bits"])).withColumn("fail_bits", value)
 
 
 def passes(version: int) -> Column:

@@ -205,7 +205,7 @@ b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_word
              + 4 * (10 * n_symbols > n_words)::BIGINT
              + 8 * (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT
              + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 14 * n_words)::BIGINT
-             + 64 * (n_words BETWEEN 20 AND 1000 AND 4 * n_distinct < n_words)::BIGINT AS fail_bits FROM m)
+             + 64 * (n_words >= 20 AND 16 * n_distinct * n_distinct < n_words * least(n_words, 1000))::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        fail_bits & 3 <> 0 AS base_failed, fail_bits & 127 = 0 AS kept, fail_bits FROM b""",
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordHashes, blocks, join_texts, mix, per_text, small_batches, split_words, utf8, windows
+from .common import WordHashes, blocks, join_texts, mix, others, per_text, small_batches, split_words, utf8, windows
 
 REPEAT_WINDOW = 8
 
@@ -101,11 +101,12 @@ def measure(texts: list[bytes], hashes: WordHashes) -> dict[str, np.ndarray]:
 def with_stats(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns in keep, then STATS (long) of the text column.
 
-    A null text counts as empty; every other column is left out, so that clashing
-    names do no harm.  Rows are independent: no shuffle, memory bounded by a block
+    A null text counts as empty; every other column is left out, and one in keep that
+    has a statistic's name gives way to the statistic, so clashing names do no harm.  Rows are independent: no shuffle, memory bounded by a block
     (or by the longest single text).
     """
     small_batches(df.sparkSession)
+    keep = others(keep, STATS)
     source = df.select(*keep, df[text].alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), *(f"{s} long" for s in STATS)])
 
