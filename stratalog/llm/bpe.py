@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import CACHE_WORDS, blocks, small_batches
+from .common import CACHE_WORDS, blocks, others, small_batches
 
 #: White space of the tokenizer's regular expressions (Unicode White_Space).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -197,19 +198,30 @@ class Encoder:
             yield b"".join([g[0] for g in got]), b" ".join([g[1] for g in got])
 
 
+def file_of(path: str) -> str:
+    """The place, on this machine, of a tokenizer file: a bare name is one of the public tokenizers' package."""
+    if os.path.dirname(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 @lru_cache(maxsize=2)
 def _load(path: str) -> PairIndexBPE:
-    return PairIndexBPE(path)
+    return PairIndexBPE(file_of(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
     """keep, then n_tokens (long) and ids (array of int) - or with digest, SHA-256 of ids and of the decoded text.
 
-    path names a tokenizer file that is installed on every executor.  Null texts are
-    empty, and empty texts have no ids.  Each row is encoded whole and by itself; no
+    path names a tokenizer file that is installed on every executor (file_of).  Null texts
+    are empty, and empty texts have no ids; repeated rows each get a row; a column in keep
+    that has a result's name gives way to the result.  Each row is encoded whole and by itself; no
     shuffle, memory bounded by a block or by the longest text.
     """
     small_batches(df.sparkSession)
+    keep = others(keep, ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids"])
     source = df.select(*keep, df[text].alias("__text"))
     fields = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), "n_tokens long", fields])

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, others
 
 K = 3
 #: Diagonals this close (words inserted or left out) belong to one span.
@@ -110,8 +110,10 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text: str =
 def labels(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_words, n_base, first_word, last_word, base_labels, labels, score; one row for each row of docs.
 
-    score is the largest verified share of a template (0 without spans).
+    score is the largest verified share of a template (0 without spans).  A column in
+    keep that has a result's name gives way to the result.
     """
+    keep = others(keep, ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
     rows, spans = scan(docs, templates, text, keep)
     base = F.col("base")
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  at most as many as there are labels

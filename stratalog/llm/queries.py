@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +10,9 @@ from pyspark.sql import functions as F
 from . import bpe, decontam, ledger, licenses, neardup, reputation, rulefit, suffixtree, toolcalls, wordpiece
 from .common import fold_of, table
 
-#: Folder of public tokenizer files; each executor has them at the same place.
-TOKENIZERS = os.environ.get("STRATALOG_TOKENIZERS", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: Files of the public tokenizers' package, found on the executor that reads them (bpe.file_of).
+WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

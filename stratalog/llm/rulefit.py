@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
-from .textstats import with_stats
+from .common import fold_of, others
+from .textstats import STATS, with_stats
 
 #: Ratios that trees split on; plain counts of words and lines stay in.
 FEATURES = {
@@ -152,8 +152,6 @@ def _lasso(m: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np
 
 def features(stats: DataFrame) -> DataFrame:
     """Replace STATS by FEATURES (double)."""
-    from .textstats import STATS
-
     keep = [c for c in stats.columns if c not in STATS]
     return stats.select(*keep, *(F.expr(e).cast("double").alias(f"{n}") for n, e in FEATURES.items()))
 
@@ -176,6 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label: str
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keep, score (double, 0 to 1) and predicted (int); null and empty texts score as texts without words."""
+    """keep, score (double, 0 to 1) and predicted (int); null and empty texts score as texts without words.
+
+    Repeated rows each get a row.  A column in keep that has the name of a result, a
+    statistic or a feature is left out.  A score of exactly 0.5 is predicted as 1.
+    """
+    keep = others(keep, ["score", "predicted", *STATS, *FEATURES])
     found = features(with_stats(docs, text, keep))
     return found.select(*keep, model.column().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

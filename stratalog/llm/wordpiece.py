@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import byte_letters
-from .common import ALNUM, CACHE_WORDS, LOWER, blocks, small_batches, split_words, utf8
+from .bpe import byte_letters, file_of
+from .common import ALNUM, CACHE_WORDS, LOWER, blocks, others, small_batches, split_words, utf8
 
 #: Pieces of an unknown word, as word-piece tokenizers give one unknown token.
 UNKNOWN = 1
@@ -88,7 +88,7 @@ def vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
     Every byte is a piece of both kinds, so no word is unknown.  Upper-case pieces
     never match lower-cased words and are left out.
     """
-    with open(path, encoding="utf-8") as f:
+    with open(file_of(path), encoding="utf-8") as f:
         tokens = json.load(f)["model"]["vocab"]
     to_byte = {c: b for b, c in byte_letters().items()}
     initial, inner = {bytes([b]) for b in range(256)}, {bytes([b]) for b in range(256)}
@@ -127,9 +127,10 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
     Words are runs without ASCII white space (with alnum: without ASCII punctuation
     either).  Null and empty texts count 0 everywhere.  Rows are independent: repeated
-    rows each get a row, no shuffle, memory bounded by a block or the longest text.
+    rows each get a row, a column in keep that has a result's name gives way to it, no shuffle, memory bounded by a block or the longest text.
     """
     small_batches(df.sparkSession)
+    keep = others(keep, ["n_words", "n_tokens", "max_word_tokens"])
     source = df.select(*keep, df[text].alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), "n_words long, n_tokens long, max_word_tokens long"])
     letters = ALNUM if alnum else LOWER

@@ -376,7 +376,7 @@ def test_pipeline(spark):
         pytest.skip("no tables here")
     tokenizers = pytest.importorskip("tokenizers")
     import corpus_pipeline
-    from stratalog.llm import ledger, rulefit
+    from stratalog.llm import bpe, ledger, rulefit
     from stratalog.llm.queries import WORD_BPE
 
     from .test_decontam import brute as contaminated
@@ -389,7 +389,7 @@ def test_pipeline(spark):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     rows = [r for r in rows if r[0] in kept]
     bad = {r[0] for r in contaminated(rows, bench) if r[2]}
-    lib = tokenizers.Tokenizer.from_file(WORD_BPE)
+    lib = tokenizers.Tokenizer.from_file(bpe.file_of(WORD_BPE))
     want = {}
     for i, t in rows:
         if i not in bad:

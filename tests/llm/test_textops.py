@@ -86,9 +86,9 @@ def test_classifier_on_tables(spark):
 
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
-    if not os.path.exists(WORD_BPE):
+    if not os.path.exists(bpe.file_of(WORD_BPE)):
         pytest.skip("no tokenizer files here")
-    lib = tokenizers.Tokenizer.from_file(WORD_BPE)
+    lib = tokenizers.Tokenizer.from_file(bpe.file_of(WORD_BPE))
     rng = random.Random(1)
     alphabet = list("aAbB'sStTreRE ve  ll\n\t\x0b\x1c\x1d\x85\xa0 é́ΣσςİIıſ数学字1²½٣६!?<|>#_—​‍\U0001f600ﬁǅ﻿\x00ßẞ")
     alphabet += ["<|startoftext|>", "<|endoftext|>", "aaaa", "Σ ", "ΑΣ", "the ", "ing"]
@@ -129,7 +129,7 @@ def test_longest_match():
 
 
 def test_token_counts(spark):
-    if not os.path.exists(BYTE_BPE):
+    if not os.path.exists(bpe.file_of(BYTE_BPE)):
         pytest.skip("no tokenizer files here")
     initial, inner = wordpiece.vocabulary(BYTE_BPE)
     texts = TEXTS + random_texts() + ["Tokenization UNBELIEVABLE naïve 数学"]
@@ -138,3 +138,32 @@ def test_token_counts(spark):
         lower = re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id] or "")
         each = [greedy(w.encode(), initial, inner) for w in WORD.findall(lower)]
         assert (r.n_words, r.n_tokens, r.max_word_tokens) == (len(each), sum(each), max(each, default=0))
+
+
+def test_kept_columns_with_the_names_of_results(spark):
+    from stratalog.llm import licenses
+
+    names = ["doc_id", "text", "n_words", "fail_bits", "score", "predicted", "n_tokens", "ids", "labels", "max_word_tokens"]
+    df = spark.createDataFrame([(1, "a b " * 30, *"xxxxxxxx"), (1, None, *"xxxxxxxx")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    keep = tuple(n for n in names if n != "text")
+    model = rulefit.Model(0.0, ())
+    for out, made in (
+        (ledger.ledger(df, keep=keep), "n_words"),
+        (rulefit.score(df, model, keep), "score"),
+        (wordpiece.token_counts(df, BYTE_BPE, keep=keep), "n_tokens"),
+        (bpe.encode(df, WORD_BPE, keep=keep), "n_tokens"),
+        (licenses.labels(df, keep=keep), "n_words"),
+    ):
+        assert len(set(out.columns)) == len(out.columns) and out.count() == 2
+        assert all(r[made] != "x" for r in out.collect()), made
+
+
+def test_stutter_judges_texts_of_any_length(spark):
+    few = " ".join(f"w{(i * i + i // 7) % 97}" for i in range(5000))
+    many = " ".join(f"w{int((i * 7919 % 5000) ** 0.95)}" for i in range(5000))
+    df = spark.createDataFrame([(1, few), (2, few[:900]), (3, many)], "doc_id long, text string")
+    bit = 1 << [r.name for r in ledger.RULES].index("stutter")
+    got = {r.doc_id: (r.n_words, r.n_distinct, bool(r.fail_bits & bit)) for r in ledger.ledger(df, keep=("doc_id",)).collect()}
+    for n, d, broken in got.values():
+        assert broken == (4 * d < n if n <= 1000 else d < (62.5 * n) ** 0.5)
+    assert got[1][2] and not got[3][2]
