@@ -26,8 +26,12 @@ RUN_ROWS = 2500
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the whole cluster sees; local only where no shared one is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"stratalog-{os.getpid()}")
+    """A new folder that the whole cluster sees; where none is named, a local one in local mode and an error on a cluster."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + os.path.join(tempfile.gettempdir(), f"stratalog-{os.getpid()}")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
