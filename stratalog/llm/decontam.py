@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BROADCAST_BYTES, blocks, cut, drop_cut, others, small_batches, split_words, utf8
+from .common import ALNUM, BLOCK_BYTES, BROADCAST_BYTES, blocks, cut, drop_cut, others, small_batches, split_words, utf8
 
 WINDOW = 13
+#: Text bytes of a shard for benchmarks of many words, each of which is searched in every shard.
+SHARD_BYTES, MANY_WORDS = 12 << 20, 200_000
 
 
 class Benchmark:
@@ -249,13 +251,18 @@ def search(docs: DataFrame, bench: DataFrame, text: str = "text", window: int =
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(*keep, *made)
 
 
+def _shard(bench: Benchmark) -> int:
+    """Text bytes of a shard."""
+    return SHARD_BYTES if len(bench.starts) > MANY_WORDS else BLOCK_BYTES
+
+
 def _pass(shared, window: int):
     """A pass over blocks of documents (last columns: text, items, spans, words) that adds what one block of items hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = shared.value
         bench = Benchmark(ids, texts, window)
-        for block in blocks(batches):
+        for block in blocks(batches, _shard(bench)):
             words, counts = split_words(utf8(block.column("__text")), ALNUM)
             got = search_shard(bench, words, counts)
             items = block.column("__items").to_pylist()
@@ -304,7 +311,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, doc: str = "doc_id", text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             b = Benchmark(*shared.value, WINDOW)
-            for block in blocks(batches):
+            for block in blocks(batches, _shard(b)):
                 names = block.column(0).to_pylist()
                 got = search_shard(b, *split_words(utf8(block.column(1)), ALNUM))
                 if "doc" not in got:
