@@ -472,3 +472,29 @@ def test_suffix_tree_of_groups(spark, monkeypatch):
         got.append({r.doc_id: r.score for r in suffixtree.score(df, F.col("held")).collect()})
     assert len(suffixtree._levels(7, 3000)) >= 3
     assert got[1] == pytest.approx(got[0], abs=1e-9) and len(got[0]) == 70
+
+
+def test_growing_places_send_little(monkeypatch):
+    """The state of places holds no hash for each, and widths beyond the first that is ruled out are not counted."""
+    rng = random.Random(4)
+    block = suffixtree.block_of([" ".join(rng.choices("abcdefgh", k=300)).encode() for _ in range(20)], np.zeros(20, bool))
+    at = np.flatnonzero(np.arange(len(block.tokens)) % 301 >= 40)
+    sums = np.zeros(20)
+    grown = suffixtree.Growing((block.words, block.tokens, block.counts, block.held), at, np.where(at % 2, 0.25, 0.5), *[sums] * 3)
+    assert sum(len(x) for x in grown.rows(1).column("body").to_pylist()) < len(at)
+    every, tried = [grown.n_rows(2, w) for w in suffixtree.WIDTHS], []
+    monkeypatch.setattr(suffixtree, "CELLS", 3 * len(at))
+    count = grown.n_rows
+    monkeypatch.setattr(grown, "n_rows", lambda depth, width: tried.append(width) or count(depth, width))
+    found = grown.widths(2)
+    fits = [w * n <= suffixtree.CELLS for w, n in zip(suffixtree.WIDTHS, every, strict=True)]
+    assert [w * n <= suffixtree.CELLS for w, n in zip(suffixtree.WIDTHS, found, strict=True)] == fits
+    assert sum(fits) + 1 == len(tried) < len(every) and found[: len(tried)] == every[: len(tried)]
+
+
+def test_answers_hold_changed_probabilities_alone():
+    rng = np.random.default_rng(5)
+    n = 4000
+    columns = [rng.integers(1, 1 << 63, n).astype(np.uint64), rng.integers(1, 1 << 63, n).astype(np.uint64), rng.random(n).view(np.uint64), np.ones(n, np.uint64), np.zeros(n, np.uint64), rng.integers(1, 1 << 63, n).astype(np.uint64)]
+    (back,) = suffixtree._grow_range([{"tag": 20, "r": 0, "node": 3, "body": suffixtree._pack(*columns)}])
+    assert back.num_rows == 1 and len(back.column("body")[0].as_py()) < n
