@@ -498,3 +498,78 @@ def test_answers_hold_changed_probabilities_alone():
     columns = [rng.integers(1, 1 << 63, n).astype(np.uint64), rng.integers(1, 1 << 63, n).astype(np.uint64), rng.random(n).view(np.uint64), np.ones(n, np.uint64), np.zeros(n, np.uint64), rng.integers(1, 1 << 63, n).astype(np.uint64)]
     (back,) = suffixtree._grow_range([{"tag": 20, "r": 0, "node": 3, "body": suffixtree._pack(*columns)}])
     assert back.num_rows == 1 and len(back.column("body")[0].as_py()) < n
+
+
+def exchanged(blocks):
+    """Rows of blocks (texts, which are held out) with all answers to them, sums, and for each tag how many messages they sent."""
+    rows, sums, sent = [], (0.0, 0.0), {}
+    for i, (texts, held) in enumerate(blocks):
+        b = suffixtree.block_of([t.encode() for t in texts], np.array(held))
+        rows.append({"bid": i, "counts": suffixtree._pack(b.counts), "words": suffixtree._pack(suffixtree._steps(b.words)), "tokens": suffixtree._pack(b.tokens), "held": held, "answers": []})
+        sums = (sums[0] + float(b.train.sum()), 0.0)
+    for i, tags in enumerate(suffixtree._ROUNDS):
+        messages = []
+        for r in rows:
+            b = suffixtree._restore(r, sums, i)
+            messages += [m for t in tags for x in suffixtree._messages(t, r["bid"], *b.ask(t), 0) for m in x.to_pylist()]
+        known = 0
+        for tag in tags:
+            mine = [m for m in messages if m["tag"] == tag]
+            sent[tag] = len(mine)
+            for x in suffixtree._totals(mine) if mine else ():
+                for m in x.to_pylist():
+                    if m["node"] < 0:
+                        known += int(suffixtree._unpack(m["body"])[0][0])
+                    else:
+                        rows[m["node"]]["answers"].append(m)
+        sums = (sums[0], float(known)) if i == 0 else sums
+    return rows, sums, sent
+
+
+def test_contexts_counted_twice_are_known_at_home():
+    """A block with a training place of a context that occurs twice asks for no sums, unless a block without one does."""
+    texts, other = [f"u{i} v x{i}" for i in range(16)], [" ".join(f"w{i}" for i in range(400))]
+    no, n = [False] * 16, 16 * 4
+    rows, sums, sent = exchanged([(texts, no), (texts, no), (other, [False])])
+    assert sent[suffixtree.TRIPLE] == 2 and sent[suffixtree.PAIR_STATS] == 0
+    last = suffixtree._restore(rows[0], sums, 3)
+    assert len(last.ctx2) == (last.p2 > last.p1[last.vx2] + 0.1).sum() == 16  # and yet those contexts are states
+    whole = exchanged([(texts + texts + other, [*no, *no, False])])
+    p = [suffixtree._restore(r, s, 3).places()[0] for rs, s in ((rows, sums), whole[:2]) for r in rs]
+    assert p[0] == pytest.approx(p[3][:n]) and p[1] == pytest.approx(p[3][n : 2 * n])
+    rows, sums, sent = exchanged([(texts, no), (texts, no), (other, [False]), (texts, [True] * 16)])
+    assert sent[suffixtree.PAIR_STATS] == 3
+    assert all(suffixtree._restore(rows[i], sums, 3).places()[0] == pytest.approx(p[0]) for i in (0, 1, 3))
+
+
+def test_growing_states_hold_their_texts():
+    """Once places are left in a small part of a block only, its state is read without the block, and asks the same."""
+    rng = random.Random(6)
+    block = suffixtree.block_of([" ".join(rng.choices("abcdefgh", k=300)).encode() for _ in range(20)], np.arange(20) % 3 == 0)
+    at = np.array([301 * t + k for t in (2, 3, 11) for k in range(20, 60)])
+    sums = np.arange(20.0)
+    grown = suffixtree.Growing((block.words, block.tokens, block.counts, block.held), at, np.where(at % 2, 0.25, 0.5), *[sums] * 3)
+    again = suffixtree.Growing.read({"answers": grown.rows(1).to_pylist()})
+    assert len(again.tokens) == 180 and len(again.counts) == 20
+    for width in (1, 4, 32):
+        one, two = grown.ask(3, width, 2), again.ask(3, width, 2)
+        assert [grown.message([c[: k + 1] for c in one[1:]]) == again.message([c[: k + 1] for c in two[1:]]) for k in (0, len(one[0]) - 1)] == [True, True]
+    third = suffixtree.Growing.read({"answers": again.rows(1).to_pylist()})
+    assert (third.totals() == grown.totals()).all() and (third.place == grown.place).all()
+
+
+def test_deep_scores_of_many_blocks(spark, monkeypatch):
+    """Scores do not depend on how texts are dealt to blocks: copies, copies held out, and texts of few places left."""
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(30)]
+    passage = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(4)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (" " + passage[i % 4] if i % 3 == 0 else ""), i % 10 == 0) for i in range(90)]
+    rows += [(900 + i, rows[3 * i][1], i % 2 == 0) for i in range(6)] + [(990, None, False), (991, "", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(2)
+    got = []
+    for block, keys, fan in ((4 << 20, 1_500_000, 512), (900, 300, 2)):
+        monkeypatch.setattr(suffixtree, "BLOCK", block)
+        monkeypatch.setattr(suffixtree, "RANGE", keys)
+        monkeypatch.setattr(suffixtree, "FAN", fan)
+        got.append({r.doc_id: r.score for r in suffixtree.score(df, F.col("held"), deep=True).collect()})
+    assert got[1] == pytest.approx(got[0], abs=1e-9) and len(got[0]) == len(rows)
