@@ -42,3 +42,29 @@ def test_worker_memory_of_a_stage(stage):
     text_mb, worker_mb = map(float, run.stdout.split())
     assert text_mb > 12
     assert worker_mb < 200, f"{worker_mb:.0f} MB"
+
+
+def test_long_texts_travel_in_small_pieces(spark, tmp_path):
+    """Rows do not bound bytes: what a stage sends to Python at once and each row group that it writes stay near their bounds."""
+    pa, pq = pytest.importorskip("pyarrow"), pytest.importorskip("pyarrow.parquet")
+    import corpus_pipeline
+    from stratalog.llm import common
+
+    words = "array_join(transform(sequence(1, 120000), x -> lower(hex(x * 7919 + id))), ' ')"
+    docs = spark.range(0, 40, 1, 1).selectExpr("id doc_id", f"{words} text")
+    docs.write.parquet(f"{tmp_path}/docs")
+    out = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+    one = docs.selectExpr("max(octet_length(text)) n").first().n
+    assert 500_000 < one < common.BLOCK_BYTES
+
+    def sizes(batches):
+        for block in common.blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block.nbytes])], names=["n"])
+
+    sent = [r.n for r in docs.coalesce(1).mapInArrow(sizes, "n long").collect()]
+    assert sum(sent) >= 40 * 500_000 and max(sent) <= common.BLOCK_BYTES + 2 * one
+    out.coalesce(1).write.parquet(f"{tmp_path}/out")
+    (part,) = (tmp_path / "out").glob("*.parquet")
+    groups = [pq.ParquetFile(part).metadata.row_group(i) for i in range(pq.ParquetFile(part).num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40
+    assert max(g.total_byte_size for g in groups) <= 16 * 2**20 + 5 * one
